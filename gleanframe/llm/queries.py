@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanframe.llm import copies, split, terms, topn
+from gleanframe.llm import copies, split, terms, tokenize, topn
 from gleanframe.llm.common import canonical_fields, canonical_text
 from gleanframe.session import table
 
@@ -58,6 +58,10 @@ def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(F.lit("corpus").alias("rel"), "*").unionByName(asked.select(F.lit("query_analysis").alias("rel"), "*")).withColumnRenamed("key", "record_id")
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize.encode_texts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_groups": p5_groups,
         "p7_found": p7_found,
         "p7_scores": p7_scores,
+        "p8_ids": p8_ids,
     }
 
 
