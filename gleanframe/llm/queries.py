@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanframe.llm import copies, split, terms, tokenize, topn
+from gleanframe.llm import copies, neighbours, split, terms, tokenize, topn
 from gleanframe.llm.common import canonical_fields, canonical_text
 from gleanframe.session import table
 
@@ -37,6 +37,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_groups(spark, sf_dir).where("key != keep_key").select("rel", "keep_key", F.col("key").alias("copy_key"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of which at least one is among the other's five most similar."""
+    near = neighbours.most_similar(table(spark, sf_dir, "emb_cache"), "content_hash", "vec", 5, 128, min_cosine=0.8)
+    return near.select(F.least("key_a", "key_b").alias("hash_a"), F.greatest("key_a", "key_b").alias("hash_b")).distinct()
+
+
 def _p7_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     items = table(spark, sf_dir, "corpus").select("doc_id", "text").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     counts = terms.term_counts(items, "doc_id", "text")
@@ -69,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": p3_found,
         "p5_found": p5_found,
         "p5_groups": p5_groups,
+        "p6_found": p6_found,
         "p7_found": p7_found,
         "p7_scores": p7_scores,
         "p8_ids": p8_ids,
