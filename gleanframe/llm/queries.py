@@ -47,7 +47,8 @@ def _p7_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     items = table(spark, sf_dir, "corpus").select("doc_id", "text").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     counts = terms.term_counts(items, "doc_id", "text")
     asked = terms.keyword_terms(table(spark, sf_dir, "query_analysis"))
-    return terms.term_scores(counts, counts), terms.term_scores(counts, asked)
+    stats = terms.collection_stats(counts)
+    return terms.term_scores(counts, counts, stats), terms.term_scores(counts, asked, stats)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

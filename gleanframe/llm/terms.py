@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanframe.llm.common import words
+from gleanframe.session import cut
 
 #: The terms with the most documents travel by broadcast; so many, whatever the data.
 HOT_TERMS = 4096
@@ -55,7 +56,13 @@ def log_likelihood(k11: Column, k12: Column, k21: Column, k22: Column) -> Column
     return F.when(k11 * (k21 + k22) >= k21 * (k11 + k12), F.greatest(g2, F.lit(0.0))).otherwise(-F.greatest(g2, F.lit(0.0)))
 
 
-def term_scores(counts: DataFrame, records: DataFrame) -> DataFrame:
+def collection_stats(counts: DataFrame) -> DataFrame:
+    """``term, df, cf`` of a collection, written once: the scores of its own records
+    and of any others read it from there, and no text is split again for it."""
+    return cut(counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")))
+
+
+def term_scores(counts: DataFrame, records: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """``key, term, tf, df, cf, llr`` for the terms of ``records`` (``key, term, tf,
     n_words``), against the collection whose counts are ``counts`` (same columns).
 
@@ -65,13 +72,13 @@ def term_scores(counts: DataFrame, records: DataFrame) -> DataFrame:
     the collection (for a record of the collection, without the record itself; when
     ``records`` isn't ``counts``, against the whole collection).
 
-    Statistics combine on the map side. The ``HOT_TERMS`` most frequent terms, which
+    Statistics (``stats``, if they are there already) combine on the map side. The ``HOT_TERMS`` most frequent terms, which
     hold most occurrences, meet their records by broadcast; the others by a shuffle
     join on the term, where none of them can be hot any more.
     """
     own = records is counts
-    stats = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    n = counts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all_words"))
+    stats = collection_stats(counts) if stats is None else stats
+    n = stats.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("all_words"))
     hot = stats.orderBy(F.col("df").desc(), F.col("term")).limit(HOT_TERMS)
     near = F.broadcast(hot.select("term", F.col("df").alias("hot_df"), F.col("cf").alias("hot_cf")))
     met = records.join(near, "term", "left")
