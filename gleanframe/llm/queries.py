@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanframe.llm import copies, neighbours, split, terms, tokenize, topn
+from gleanframe.llm import copies, neighbours, residue, split, terms, tokenize, topn
 from gleanframe.llm.common import canonical_fields, canonical_text
 from gleanframe.session import table
 
@@ -69,6 +69,14 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_texts(table(spark, sf_dir, "documents"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.template_residue(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p10_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.message_templates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -80,6 +88,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_found": p7_found,
         "p7_scores": p7_scores,
         "p8_ids": p8_ids,
+        "p10_found": p10_found,
+        "p10_templates": p10_templates,
     }
 
 
