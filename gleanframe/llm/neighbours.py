@@ -14,9 +14,9 @@ from gleanframe.session import cut
 
 #: Curves, the dimensions vectors are projected to for each, and bits a dimension.
 #: The number of the curve and its key share one 64-bit number.
-CURVES, DIMENSIONS, BITS = 8, 12, 5
+CURVES, DIMENSIONS, BITS = 7, 12, 5
 #: Two vectors at most so far apart on a curve are compared.
-WINDOW = 512
+WINDOW = 1024
 #: How many more than k partners a window may propose, against rounding.
 SPARE = 3
 #: Projections of a unit vector are standard normal; the grid spans this range.
