@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanframe.llm import copies, neighbours, residue, split, terms, tokenize, topn
+from gleanframe.llm import copies, nearcopies, neighbours, residue, split, terms, tokenize, topn
 from gleanframe.llm.common import canonical_fields, canonical_text
 from gleanframe.session import table
 
@@ -22,6 +22,11 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_oversized(items, table(spark, sf_dir, "snippet_config"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = nearcopies.near_copies(table(spark, sf_dir, "corpus"), "doc_id", "text", 3, 0.5)
+    return pairs.select(F.col("key_a").alias("doc_id_a"), F.col("key_b").alias("doc_id_b"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_per_group(table(spark, sf_dir, "run"), "query_id", "doc_id", "score", 10).select("query_id", "doc_id", "pos")
 
@@ -81,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_pieces": p1_pieces,
+        "p2_found": p2_found,
         "p3_found": p3_found,
         "p5_found": p5_found,
         "p5_groups": p5_groups,
