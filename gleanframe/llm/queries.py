@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanframe.llm import copies, nearcopies, neighbours, residue, split, terms, tokenize, topn
+from gleanframe.llm import copies, mixing, nearcopies, neighbours, residue, split, terms, tokenize, topn
 from gleanframe.llm.common import canonical_fields, canonical_text
 from gleanframe.session import table
 
@@ -74,6 +74,14 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_texts(table(spark, sf_dir, "documents"))
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.template_residue(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -94,6 +102,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_found": p7_found,
         "p7_scores": p7_scores,
         "p8_ids": p8_ids,
+        "p9_mix": p9_mix,
+        "p9_shares": p9_shares,
         "p10_found": p10_found,
         "p10_templates": p10_templates,
     }
