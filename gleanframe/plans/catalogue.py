@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanframe.plans import changes
+from gleanframe.plans import changes, ranking, texts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**changes.QUERIES}
+    return {**texts.QUERIES, **ranking.QUERIES, **changes.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**changes.SQL}
+    return {**texts.SQL, **ranking.SQL, **changes.SQL}
