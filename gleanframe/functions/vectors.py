@@ -25,8 +25,9 @@ def norm(a: Column) -> Column:
 
 
 def l2_normalize(a: Column) -> Column:
-    """Length one; a zero vector stays zero."""
-    return F.transform(a, lambda x: x / F.greatest(norm(a), F.lit(EPS)))
+    """Length one; a zero vector stays zero. The norm is bound once, not per element."""
+    length = F.array(F.greatest(norm(a), F.lit(EPS)))
+    return F.get(F.transform(length, lambda n: F.transform(a, lambda x: x / n)), F.lit(0))
 
 
 def blend(a: Column, b: Column, weight: Column | float) -> Column:
@@ -147,6 +148,29 @@ class HashingBackend:
         return df.select(*keys, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
+    def embed_pooled(self, df: DataFrame, keys: list[str], pieces: str) -> DataFrame:
+        """``<keys>, vec``: the element-wise maximum over the unit vectors of a row's
+        pieces, made length one; the pieces never leave their row."""
+        dim, grams, name = self.dim, self.char_ngrams, self.hash_name
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            slots = _Slots(dim, name)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 256):
+                    batch = whole.slice(at, 256)
+                    x = np.zeros((batch.num_rows, dim))
+                    for row, parts in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                        if parts:
+                            own = np.stack([feature_vector(t, slots, grams) for t in parts])
+                            x[row] = (own / np.maximum(np.sqrt((own * own).sum(axis=1, keepdims=True)), EPS)).max(axis=0)
+                    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), EPS)
+                    offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dim)
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=[*keys, "vec"])
+
+        schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", vec array<double>"
+        return df.select(*keys, F.col(pieces).alias("_pieces")).mapInArrow(run, schema)
+
+
 class ModelBackend:
     """A sentence encoder, loaded once per worker; its library must be installed."""
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanframe.functions.text import with_title
+from gleanframe.session import shuffle_width
 
 
 def corpus_from(spark: SparkSession, corpus: Mapping[str, str] | Sequence[str]) -> DataFrame:
@@ -32,8 +33,13 @@ def run_from(spark: SparkSession, run: Mapping[str, Mapping[str, float]]) -> Dat
 
 
 def distinct_items(corpus: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row per id; a redelivered row is the same item. Null ids are no items."""
-    return corpus.where(F.col(key).isNotNull()).dropDuplicates([key])
+    """One row per id; a redelivered row is the same item. Null ids are no items.
+
+    The one shuffle it takes is asked for by number, so that it also spreads the
+    encoding that mostly follows over all cores, however small the texts are.
+    """
+    rows = corpus.where(F.col(key).isNotNull())
+    return rows.repartition(shuffle_width(corpus.sparkSession), key).dropDuplicates([key])
 
 
 def benchmark_texts(batch: DataFrame) -> DataFrame:
