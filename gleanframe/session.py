@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, once per context, unless they share the
+    driver's PYTHONPATH and it names the package's folder."""
+    root = Path(__file__).resolve().parents[1]
+    sc = spark.sparkContext
+    if str(root) not in os.environ.get("PYTHONPATH", "").split(os.pathsep) and not getattr(sc, "_gleanframe_shipped", False):
+        target = Path(tempfile.mkdtemp(prefix="gleanframe-")) / "gleanframe.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for p in (root / "gleanframe").rglob("*.py"):
+                z.write(p, p.relative_to(root))
+        sc.addPyFile(str(target))
+        sc._gleanframe_shipped = True
+    return spark
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
