@@ -80,7 +80,7 @@ def test_sketches(spark):
     made = {r.query_id: r.sketch for r in sketch_queries(found).collect()}
     compile(made["1"], "sketch", "exec")
     assert made["1"].startswith("def sort_numbers(sort, numbers):") and "# sort" in made["1"]
-    assert "return parser(parser, used)" in made["2"]
+    assert "return parser(data)" in made["2"]
     assert "ast.walk(tree)" in made["3"]
     cache = spark.createDataFrame([("sort numbers", "cached")], "key string, sketch string")
     assert {r.query_id: r.sketch for r in sketch_queries(found, cache).collect()}["1"] == "cached"
