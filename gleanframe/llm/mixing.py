@@ -115,8 +115,9 @@ def document_sizes(documents: DataFrame, key: str, text: str, source: str, model
 
 def _members(batch: pa.RecordBatch, names: list[str], model: list[str], caps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a batch of sizes: tokens, memberships in the targets' sources, and how often
-    each row may be used at most. Without a source, that is what the strictest of its
-    likely sources allows."""
+    each row may be used at most. Without a source, that is the mean of what its sources
+    allow, weighted by their posteriors (0 for one without a target), and never more than
+    its likeliest source with a target allows."""
     place = {s: k for k, s in enumerate(names)}
     n = batch.num_rows
     tokens = batch.column("tokens").to_numpy().astype(np.float64)
@@ -131,8 +132,9 @@ def _members(batch: pa.RecordBatch, names: list[str], model: list[str], caps: np
             for at, share in zip(cols, p):
                 if at >= 0:
                     member[k, at] = share
-            likely = [caps[at] if at >= 0 else 0 for at, share in zip(cols, p) if share >= 0.05]
-            cap[k] = min(likely, default=0)
+            open_to = np.where(caps > 0, member[k], 0.0)
+            if open_to.any():
+                cap[k] = min(float(member[k] @ caps), caps[open_to.argmax()])
     return tokens, member, cap
 
 
@@ -165,7 +167,9 @@ def mix_sources(
     rates minimise the squared distance of the expected tokens of each source from
     its share of the total, by projected gradient: each step sums the tokens per
     source on the executors and sends one number per source back. A rate never passes
-    its source's ``max_repeats``. Without ``total_tokens`` the total is the largest
+    its source's ``max_repeats``; that of a row without a source is bounded by the mean
+    over its posteriors, in which sources without a target count 0, so the likelier it
+    belongs to none of the targets, the less it is used. Without ``total_tokens`` the total is the largest
     for which every share can be met. Rates become whole repeats by the hash of the
     key, set right per source so that the tokens of the rates are kept.
 
@@ -224,7 +228,7 @@ def mix_sources(
             tokens, member, cap = _members(batch, names, model.names, caps)
             rate = _rates(member, cap, steps) if total else np.zeros(len(tokens))
             luck = np.array([xxhash.xxh3_64_intdigest(str(k)) / 2.0**64 for k in batch.column("key").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("source"), batch.column("tokens"), pa.array(rate), pa.array(cap), pa.array(luck - (rate - np.floor(rate)))], names=["key", "source", "tokens", "rate", "cap", "margin"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("source"), batch.column("tokens"), pa.array(rate), pa.array(np.ceil(cap)), pa.array(luck - (rate - np.floor(rate)))], names=["key", "source", "tokens", "rate", "cap", "margin"])
 
     rated = base.mapInArrow(place, f"key {kind}, source string, tokens bigint, rate double, cap double, margin double").where("tokens > 0 AND rate > 0")
     # a row is rounded up where its margin lies below its source's line; the line is set where the tokens come out right

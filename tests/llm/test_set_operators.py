@@ -4,6 +4,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gleanframe.llm import mixing, nearcopies, neighbours, topn
@@ -158,6 +159,37 @@ def test_mix_of_nothing(spark):
     assert mix.count() == 0 and report.count() == 0
 
 
+def members_of(posterior, names, model, caps):
+    batch = pa.RecordBatch.from_pydict({"source": pa.array([None], pa.string()), "tokens": pa.array([10], pa.int64()), "posterior": pa.array([posterior], pa.list_(pa.float64()))})
+    _, member, cap = mixing._members(batch, names, model, np.array(caps, float))
+    return member[0].tolist(), cap[0]
+
+
+def test_rows_without_a_source_keep_a_cap():
+    member, cap = members_of([0.6, 0.3, 0.1], ["a", "b"], ["a", "b", "untargeted"], [2, 1])
+    assert member == [0.6, 0.3] and cap == pytest.approx(1.5)
+    many = [f"s{i:02}" for i in range(40)]
+    assert members_of([1 / 40] * 40, many, many, [1] * 40)[1] == pytest.approx(1)
+    assert members_of([0.5, 0.5], ["a", "b"], ["a", "b"], [0, 2])[1] == pytest.approx(1)
+    assert members_of([0.6, 0.4], ["a", "b"], ["a", "b"], [1, 5])[1] == 1
+    assert members_of([1.0], ["a"], ["untargeted"], [1])[1] == 0
+
+
+@needs_vocab
+def test_mix_uses_rows_without_a_source(spark):
+    random.seed(6)
+    own = {"code": "def return class".split(), "news": "today minister said".split(), "untargeted": "zzz yyy".split()}
+    docs = []
+    for i in range(600):
+        s = list(own)[i % 3]
+        docs.append((i, " ".join(random.choices(own[s] + "the of and to in".split(), k=30)), s if i % 10 else None, 0))
+    mix, report = mixing.mix_sources(spark.createDataFrame(docs, DOCS), spark.createDataFrame([("code", 0.5, 1), ("news", 0.5, 1)], TARGETS))
+    bare = [r for r in mix.collect() if r.source is None]
+    assert len(bare) >= 30 and all(r.repeats == 1 for r in bare)
+    assert sum(docs[r.doc_id][1].count("zzz") > 0 for r in bare) <= len(bare) / 4
+    assert all(r.reached_share == pytest.approx(0.5, abs=0.03) for r in report.collect())
+
+
 def test_source_model_on_held_out_rows():
     random.seed(9)
     own = {"a": "red green blue".split(), "b": "one two three".split()}
