@@ -43,6 +43,41 @@ def test_rebuild_counts(spark):
     assert got == {"a": (2, 1, 0.5), "b": (2, 1, 0.5)}
 
 
+def test_version_search_covers_every_index(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+    from gleanframe.operators import dense
+    from gleanframe.plans.ranking import BACKEND
+
+    snap, vers = [], []
+    for i, name in enumerate(("b", "a", "c", "late")):
+        for no in range(1, 4):
+            vers.append((name, f"v{10 - no}", day(no), 1, 0.1))
+            if name == "late" and no == 3:
+                continue  # never delivered: the one before is the newest
+            snap += [(name, f"v{10 - no}", f"d{d:02}", None, f"sort list {name} {'read file ' * (d % 3)} w{(d * no + i) % 7}", day(no), "") for d in range(4 + 5 * i)]
+    snap += [(None, "v7", "d", None, "x", day(1), ""), ("a", "v7", None, None, "x", day(1), "")]
+    asks = [("q1", "sort list w3"), ("q2", "read file"), ("q3", None), ("q1", "sort list w3")]
+    spark.createDataFrame(snap, SNAP).write.parquet(f"{tmp_path}/snapshots.parquet")
+    spark.createDataFrame(vers, VERS).write.parquet(f"{tmp_path}/index_versions.parquet")
+    spark.createDataFrame(asks, "query_id string, text string").write.parquet(f"{tmp_path}/queries.parquet")
+    monkeypatch.setattr(dense, "DOCS_AT_ONCE", 3)
+    got = {}
+    for r in entry.queries()["version_search_all"](spark, str(tmp_path)).collect():
+        got.setdefault((r.index_name, r.query_id), {})[r.pos] = (r.doc_id, r.score)
+
+    def vectors(pairs):
+        return {r.k: np.array(r.vec) for r in BACKEND.embed(spark.createDataFrame(pairs, "k string, text string"), ["k"], "text").collect()}
+
+    newest = {"b": "v7", "a": "v7", "c": "v7", "late": "v8"}
+    want, asked = {}, vectors(asks[:3])
+    docs = vectors([(f"{s[0]}/{s[2]}", s[4]) for s in snap if s[2] and newest.get(s[0]) == s[1]])
+    for name in newest:
+        for q, v in asked.items():
+            best = sorted((-round(float(v @ x), 6) + 0.0, k.split("/")[1]) for k, x in docs.items() if k.startswith(f"{name}/"))[:5]
+            want[name, q] = {pos: (d, pytest.approx(-s, abs=1e-5)) for pos, (s, d) in enumerate(best, 1)}
+    assert got == want
+
+
 def test_index_encodes_only_what_is_new(spark, tmp_path):
     backend = HashingBackend(64)
     index = versions.VersionedIndex(spark, f"{tmp_path}/ix", backend.embed, 64)
