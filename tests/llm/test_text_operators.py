@@ -153,6 +153,21 @@ def test_residue_kinds():
     assert [t for t in GOOD if residue.find_residue(t, tree)] == []
 
 
+def test_residue_after_the_twelfth_word():
+    tree = residue.MessageTree()
+    late = [
+        ("notice", "Before you can continue to the page that you have asked for, your browser must have cookies enabled."),
+        ("error", "Home Docs Guides Search Sign in About Help Terms Blog Status Jobs Press Contact. The page you requested could not be found."),
+        ("error", "Start | Docs | Blog | Help | About | Terms | Jobs | Press | Contact | Sign in | 404 Not Found"),
+        ("filler", "This part of the guide belongs to the chapter on sorted lists and queues and is still to be written"),
+    ]
+    for kind, text in late:
+        assert len(text.split()) > residue.DEPTH and residue.find_residue(text, tree) == kind
+    prose = "The loader walks the list of mirrors and keeps what it gets in a table of its own, one row for each. " * 3
+    assert residue.find_residue(prose + "A mirror that says your browser must have cookies enabled is skipped. " + prose, tree) is None
+    assert tree.verdict("a " * 12 + "plain end") is None and tree.verdict("a " * 12 + "cookies must be enabled") == "notice"
+
+
 def test_residue_table(spark):
     docs = spark.createDataFrame([(1, "JavaScript is required to view this page.", "x"), (1, "JavaScript is required to view this page.", "x"), (2, None, "y"), (None, "TBD", "z"), (4, "plain", None)], "doc_id bigint, text string, reason string")
     assert sorted(((r.doc_id, r.reason) for r in residue.template_residue(docs).collect()), key=repr) == [(1, "notice"), (1, "notice"), (None, "filler")]
