@@ -17,8 +17,8 @@ from gleanframe.session import cut
 CURVES, DIMENSIONS, BITS = 7, 12, 5
 #: Two vectors at most so far apart on a curve are compared.
 WINDOW = 1024
-#: How many more than k partners a window may propose, against rounding.
-SPARE = 3
+#: Pairs a window hands on together; a dense one has many.
+PAIRS_AT_ONCE = 65_536
 #: Projections of a unit vector are standard normal; the grid spans this range.
 _LOW, _HIGH, _SHIFT = -3.5, 4.5, 1.0
 #: Rounding to 8 bits moves a cosine by less than this.
@@ -124,7 +124,8 @@ def _smaller(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _window_pairs(items: list[bytes], block: int, width: int, most: int, floor: float | None) -> tuple[np.ndarray, np.ndarray]:
     """Indices (i, j) of the proposed pairs: i among the first ``block`` items, j after
-    it. Each item proposes its ``most`` best on either side."""
+    it. On either side each item proposes its ``most`` best and all that rounding may
+    have put behind them: a cosine and the one it is compared with may both be off."""
     raw = np.frombuffer(b"".join(items), np.uint8).reshape(len(items), 20 + width)
     x = raw[:, 20:].copy().view(np.int8).astype(np.float32)
     x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -137,7 +138,7 @@ def _window_pairs(items: list[bytes], block: int, width: int, most: int, floor:
         crowded = np.nonzero(chosen.sum(axis=1) > most)[0]
         if len(crowded):
             part = score[crowded]
-            chosen[crowded] &= part >= -np.partition(-part, most - 1, axis=1)[:, most - 1 : most]
+            chosen[crowded] &= part >= -np.partition(-part, most - 1, axis=1)[:, most - 1 : most] - 2 * _ROUNDING
     return np.nonzero(rows | cols)
 
 
@@ -159,7 +160,8 @@ def window_pairs(ordered: DataFrame, width: int, most: int, floor: float | None)
                 a, b = digests[i], digests[j]
                 ahead = _smaller(a, b)[:, None]
                 u, v = np.where(ahead, a, b).astype(">u8"), np.where(ahead, b, a).astype(">u8")
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in u], pa.binary()), pa.array([r.tobytes() for r in v], pa.binary())], names=["u", "v"])
+                for at in range(0, len(u), PAIRS_AT_ONCE):
+                    yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x[at : at + PAIRS_AT_ONCE]], pa.binary()) for x in (u, v)], names=["u", "v"])
                 waiting = waiting[block:]
             if final:
                 waiting = []
@@ -207,7 +209,7 @@ def most_similar(rows: DataFrame, key: str, vec: str, k: int = 5, width: int = 1
     """
     vectors = usable_vectors(rows, key, vec, width)
     shuffled = curve_rows(vectors, width).repartitionByRange("at", "item").sortWithinPartitions("at", "item")
-    pairs = window_pairs(shuffled, width, k + SPARE, min_cosine).distinct()
+    pairs = window_pairs(shuffled, width, k, min_cosine).distinct()
     raws = vectors.groupBy("vid").agg(F.first("raw").alias("raw"))
     left = raws.select(F.col("vid").alias("u"), F.col("raw").alias("raw_u"))
     right = raws.select(F.col("vid").alias("v"), F.col("raw").alias("raw_v"))

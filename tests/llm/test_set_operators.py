@@ -120,6 +120,22 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert len(want) > 3000 and hit >= 0.9 * len(want)
 
 
+def test_a_dense_window_proposes_all_true_neighbours():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal(128) + 0.045 * rng.standard_normal((600, 128))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    small = np.rint(unit * (127 / np.abs(unit).max(axis=1, keepdims=True))).astype(np.int8)
+    i, j = neighbours._window_pairs([bytes(20) + s.tobytes() for s in small], 600, 128, 5, 0.8)
+    proposed = set(zip(i.tolist(), j.tolist()))
+    s = unit @ unit.T
+    assert np.median(s) > 0.99
+    for a in range(600):
+        for b in a + 1 + np.argsort(-s[a, a + 1 :])[:5]:
+            assert (a, int(b)) in proposed
+        for b in np.argsort(-s[a, :a])[:5]:
+            assert (int(b), a) in proposed
+
+
 def test_neighbours_of_nothing(spark):
     assert neighbours.most_similar(spark.createDataFrame([], "content_hash string, vec array<float>"), "content_hash", "vec").count() == 0
 
