@@ -131,10 +131,9 @@ def copy_groups(hashes: DataFrame) -> DataFrame:
     single = marked.where("NOT maybe").select("key", F.col("key").alias("keep_key"), F.lit(1).cast("bigint").alias("copies"))
     rows = cut(marked.where("maybe").select("key", "h").distinct())
     groups = rows.groupBy("h").agg(F.min("key").alias("keep_key"), F.count("*").alias("copies"))
-    hot_from = max(2, int(total * HOT_SHARE))
-    most = math.ceil(1 / HOT_SHARE) + 1
+    hot_from = max(2, math.ceil(total * HOT_SHARE))
     groups = groups.withColumn("hot", F.col("copies") >= hot_from)
-    hot = F.broadcast(groups.where("hot").orderBy(F.col("copies").desc()).limit(most).select(F.col("h"), F.col("keep_key").alias("hot_keep"), F.col("copies").alias("hot_copies")))
+    hot = F.broadcast(groups.where("hot").select(F.col("h"), F.col("keep_key").alias("hot_keep"), F.col("copies").alias("hot_copies")))
     with_hot = rows.join(hot, "h", "left")
     done = with_hot.where("hot_keep IS NOT NULL").select("key", F.col("hot_keep").alias("keep_key"), F.col("hot_copies").alias("copies"))
     rest = with_hot.where("hot_keep IS NULL").select("key", "h").join(groups.where("NOT hot").select("h", "keep_key", "copies"), "h").select("key", "keep_key", "copies")

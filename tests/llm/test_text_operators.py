@@ -96,6 +96,11 @@ def test_copy_groups_of_nothing_and_of_a_full_filter(spark, monkeypatch):
     assert groups_of(spark, pairs) == {f"k{i:03}": (f"k{i // 2 * 2:03}", 2) for i in range(300)}
 
 
+def test_copy_groups_of_many_pairs(spark):
+    pairs = [(f"k{i:04}", f"text {i // 2}") for i in range(2998)]
+    assert groups_of(spark, pairs) == {f"k{i:04}": (f"k{i // 2 * 2:04}", 2) for i in range(2998)}
+
+
 # ---- terms
 
 
