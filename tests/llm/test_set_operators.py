@@ -68,7 +68,7 @@ def test_near_copies_are_exact(spark, monkeypatch, n, t, bound):
             items.append((f"k{len(items):04}", random.choice([" ", "\n", ", "]).join(mine)))
     items += [("c1", "one two three four five six"), ("c2", "One  two-three four FIVE six"), ("c3", "one two three four five six seven"), ("j1", '{"a b": "c d e f g h"}'), ("j2", '{"a": "b c d e f g h"}'), ("n", None), ("e", ""), (None, "one two three four five six"), items[0], items[5]]
     if bound:
-        monkeypatch.setattr(nearcopies, "light_bound", lambda sets, threshold: bound)
+        monkeypatch.setattr(nearcopies, "light_bound", lambda shared, threshold: spark.createDataFrame([(bound,)], "bound bigint"))
     got = [tuple(r) for r in nearcopies.near_copies(spark.createDataFrame(items, "doc_id string, text string"), n=n, threshold=t).collect()]
     assert len(got) == len(set(got)) and set(got) == plain_pairs(items, n, t)
 
@@ -80,9 +80,10 @@ def test_near_copies_of_nothing(spark):
 def test_packed_numbers_come_back():
     for x in ([], [5], [0, 1, 2**40 - 1], sorted(random.sample(range(2**40), 50)), sorted(random.sample(range(2**22), 500))):
         a = np.array(x, np.uint64)
-        assert (nearcopies._unpack5(nearcopies._pack5(a)) == a).all()
-        if len(a):
-            assert (nearcopies._unpack_sorted(nearcopies._pack_sorted(a)) == a).all()
+        assert (nearcopies._unpack(nearcopies._pack(a, 5), 5) == a).all()
+        assert (nearcopies._unpack_sorted(nearcopies._pack_sorted(a)) == a).all()
+        assert (nearcopies._unpack_sorted(nearcopies._pack_sorted(np.concatenate([a, a]))) == np.concatenate([a, a])).all()
+        assert (nearcopies._wide(nearcopies._small(a % np.uint64(1 << 20))) == a % np.uint64(1 << 20)).all()
 
 
 # ---- neighbours
