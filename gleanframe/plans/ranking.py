@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleanframe.functions import vectors
 from gleanframe.functions.vectors import HashingBackend
 from gleanframe.operators import dense, fusion, metrics
-from gleanframe.operators.bm25 import Bm25Index
+from gleanframe.operators.bm25 import Bm25Index, term_rows, term_stats
 from gleanframe.plans import sqltext as q
 from gleanframe.plans.texts import asked, items
 from gleanframe.retriever import Encoder
@@ -74,7 +74,7 @@ def hash_cosine_topk(spark, sf_dir):
 
 
 def bm25_stats(spark, sf_dir):
-    return Bm25Index(items(spark, sf_dir)).stats.select("term", "df", F.round("idf", 6).alias("idf"))
+    return term_stats(items(spark, sf_dir)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark, sf_dir):
@@ -82,10 +82,12 @@ def bm25_topk(spark, sf_dir):
 
 
 def _fused(spark, sf_dir, fuse):
-    corpus = fusion.with_index(items(spark, sf_dir).select("doc_id", "doc_pos", "text"))
-    docs = cut(BACKEND.embed(corpus, ["doc_id", "idx"], "text"))
+    corpus = term_rows(fusion.with_index(items(spark, sf_dir).select("doc_id", "doc_pos", "text")), ["doc_id", "idx", "text"])
+    docs = cut(BACKEND.embed(corpus, ["doc_id", "idx", "terms", "tfs", "dl"], "text"))
+    index = Bm25Index(docs)
     queries = asked(spark, sf_dir)
-    return fuse(docs, cut(BACKEND.embed(queries, ["query_id"], "text")), Bm25Index(corpus).scores(queries), 10)
+    both = BACKEND.embed(queries, ["query_id"], "text").join(index.weights(queries), "query_id")
+    return fuse(docs, cut(both), index.mean_length, 10)
 
 
 def rrf_topk(spark, sf_dir):
@@ -207,7 +209,9 @@ SELECT label, i, round(x / n, 6) AS x FROM m JOIN n USING (label)""",
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pos FROM g QUALIFY pos <= 10""",
     "bm25_stats": f"WITH {q.bm25_cte()} SELECT term, df, round(idf, 6) AS idf FROM stats",
     "bm25_topk": f"""
-WITH {q.bm25_cte()}, r AS (SELECT query_id, doc_id, round(bm25, 6) AS bm25 FROM scored)
+WITH {q.bm25_cte()}, r AS (
+  SELECT a.query_id, i.doc_id, round(coalesce(b.bm25, 0), 6) + 0.0 AS bm25
+  FROM asked a CROSS JOIN items i LEFT JOIN scored b ON b.query_id = a.query_id AND b.doc_id = i.doc_id)
 SELECT query_id, doc_id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS pos FROM r QUALIFY pos <= 10""",
     "rrf_topk": f"""
 {_GRID}, ranks AS (
