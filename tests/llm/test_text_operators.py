@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import random
 import re
 
 import pytest
@@ -152,25 +153,63 @@ GOOD = [
 
 
 def test_residue_kinds():
-    tree = residue.MessageTree()
     for kind, texts in BAD.items():
-        assert [(t, residue.find_residue(t, tree)) for t in texts] == [(t, kind) for t in texts]
-    assert [t for t in GOOD if residue.find_residue(t, tree)] == []
+        assert [(t, residue.find_residue(t)) for t in texts] == [(t, kind) for t in texts]
+    assert [t for t in GOOD if residue.find_residue(t)] == []
 
 
 def test_residue_after_the_twelfth_word():
-    tree = residue.MessageTree()
     late = [
         ("notice", "Before you can continue to the page that you have asked for, your browser must have cookies enabled."),
+        ("notice", "Dear visitor of this site we are very sorry to tell you that JavaScript is required to view this page."),
         ("error", "Home Docs Guides Search Sign in About Help Terms Blog Status Jobs Press Contact. The page you requested could not be found."),
         ("error", "Start | Docs | Blog | Help | About | Terms | Jobs | Press | Contact | Sign in | 404 Not Found"),
         ("filler", "This part of the guide belongs to the chapter on sorted lists and queues and is still to be written"),
     ]
     for kind, text in late:
-        assert len(text.split()) > residue.DEPTH and residue.find_residue(text, tree) == kind
+        assert len(text.split()) > residue.HEAD and residue.find_residue(text) == kind
     prose = "The loader walks the list of mirrors and keeps what it gets in a table of its own, one row for each. " * 3
-    assert residue.find_residue(prose + "A mirror that says your browser must have cookies enabled is skipped. " + prose, tree) is None
-    assert tree.verdict("a " * 12 + "plain end") is None and tree.verdict("a " * 12 + "cookies must be enabled") == "notice"
+    assert residue.find_residue(prose + "A mirror that says your browser must have cookies enabled is skipped. " + prose) is None
+
+
+def test_leaf_merges_similar_messages():
+    leaf = residue.Leaf(8)
+    said = ["the page foo was not found here today", "the page bar was not found here today", "the page bar and all that is gone", "the page <*> was not found here again"]
+    assert [leaf.add(m.split(), n) for n, m in enumerate(said, 1)] == [0, 0, 1, 0]
+    assert [" ".join(t) for t in leaf.templates] == ["the page <*> was not found here <*>", "the page bar and all that is gone"]
+    assert leaf.support == [7, 3]
+
+
+def _fallen(spark, texts, **more):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return {r.doc_id: r.reason for r in residue.template_residue(docs).collect()}
+
+
+def test_verdicts_go_back_to_all_messages_of_a_template(spark):
+    """The word that tells stands where the messages differ; one of them has another."""
+    texts = [f"In order to open the view on this device, {w} must be enabled by its owner first of all" for w in ("cookies", "JavaScript", "scripting")]
+    odd = "In order to open the view on this device, Cookies-2 must be enabled by its owner first of all"
+    assert residue.find_residue(texts[0]) == "notice"
+    assert set(_fallen(spark, [*texts, odd])) == {0, 1, 2, 3}
+    found = {r.template: (r.kind, r.messages, r.members) for r in residue.message_templates(spark.createDataFrame([(t,) for t in [*texts, texts[0], None, ""]], "text string")).collect()}
+    assert found == {"In order to open the view on this device, <*> must be enabled by its owner first of all": ("notice", 4, 3)}
+
+
+def test_residue_is_the_same_in_any_partitions(spark):
+    random.seed(3)
+    every = [t for texts in BAD.values() for t in texts] + GOOD
+    texts = every + [f"Error {k}: page {random.choice('abcdef')}{k} was not found on this server at all" for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    runs = [sorted(map(tuple, residue.template_residue(docs.repartition(n, "text")).collect())) for n in (1, 7)]
+    assert runs[0] == runs[1] and len(runs[0]) >= 60
+
+
+def test_residue_on_texts_no_rule_was_written_for():
+    """The figures of the README: 39 of 60 residue texts found, 9 of 60 others flagged."""
+    from heldout_residue import EXPLAINING, RESIDUE
+
+    assert sum(residue.find_residue(t) is not None for t in RESIDUE) == 39 and len(RESIDUE) == 60
+    assert sum(residue.find_residue(t) is not None for t in EXPLAINING) == 9 and len(EXPLAINING) == 60
 
 
 def test_residue_table(spark):
@@ -181,12 +220,6 @@ def test_residue_table(spark):
     assert found == {"Error <*>": 2}
 
 
-def test_tree_forgets_without_changing_verdicts():
-    tree = residue.MessageTree(most=2)
-    assert [tree.verdict(f"line number {'a' * k}") for k in range(6)] == [None] * 6
-    assert tree.verdict("Error 404") == "error" == tree.verdict("Error 500")
-
-
 # ---- tokens
 
 VOCAB = "/opt/tokenizers/byte_bpe_50k.json"
