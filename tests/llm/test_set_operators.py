@@ -126,7 +126,7 @@ def test_a_dense_window_proposes_all_true_neighbours():
     x = rng.standard_normal(128) + 0.045 * rng.standard_normal((600, 128))
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     small = np.rint(unit * (127 / np.abs(unit).max(axis=1, keepdims=True))).astype(np.int8)
-    i, j = neighbours._window_pairs([bytes(20) + s.tobytes() for s in small], 600, 128, 5, 0.8)
+    i, j = neighbours._window_pairs([bytes(8) + s.tobytes() for s in small], 600, 128, 5, 0.8)
     proposed = set(zip(i.tolist(), j.tolist()))
     s = unit @ unit.T
     assert np.median(s) > 0.99
@@ -137,6 +137,25 @@ def test_a_dense_window_proposes_all_true_neighbours():
             assert (int(b), a) in proposed
 
 
+def test_neighbours_do_not_depend_on_the_ranges(spark, monkeypatch):
+    """With windows far below the table, in one range and in some hundred."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(neighbours, "WINDOW", 32)
+    base = rng.standard_normal((500, 128))
+    x = np.vstack([base + 0.5 * rng.standard_normal(base.shape) for _ in range(6)]).astype(np.float32)
+    df = spark.createDataFrame([(f"h{i:04}", [float(v) for v in r]) for i, r in enumerate(x)], "content_hash string, vec array<float>")
+    u = x.astype(np.float64) / np.linalg.norm(x, axis=1)[:, None].astype(np.float64)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(f"h{i:04}", f"h{j:04}") for i in range(len(x)) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.7}
+    hits = []
+    for windows in (10_000, 5):
+        monkeypatch.setattr(neighbours, "RANGE_WINDOWS", windows)
+        hits.append(len(want & {(r.key_a, r.key_b) for r in neighbours.most_similar(df, "content_hash", "vec", 5, min_cosine=0.7).collect()}))
+    assert len(want) > 5000 and min(hits) >= 0.9 * len(want)
+    assert hits[1] >= 0.999 * hits[0]
+
+
 def test_neighbours_of_nothing(spark):
     assert neighbours.most_similar(spark.createDataFrame([], "content_hash string, vec array<float>"), "content_hash", "vec").count() == 0
 
