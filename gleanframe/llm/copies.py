@@ -5,19 +5,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanframe.llm.common import digest16
-from gleanframe.session import cut
+from gleanframe.session import cut, shared_dir
 
 #: Bits of the filter for each record, hash positions of a record, and the largest
-#: filter in bytes: beyond it the filter lets more single records through to the
-#: exact grouping, and the result stays the same.
+#: filter in bytes. More records make more filters, each for a part of the hashes.
 BITS_PER_RECORD, POSITIONS, MAX_FILTER_BYTES = 16, 2, 32 << 20
 #: The filter travels in so many slices, merged in parallel.
 SLICES = 16
@@ -47,10 +48,11 @@ def _positions(hashes: pa.Array, bits: int) -> np.ndarray:
     return np.stack([(raw[:, 0] + np.uint64(k) * step) % np.uint64(bits) for k in range(POSITIONS)], axis=1)
 
 
-def filter_bits(records: int) -> int:
-    """The size of the filter: a power of two, in proportion to the records, bounded."""
-    want = max(1 << 16, BITS_PER_RECORD * records)
-    return min(1 << math.ceil(math.log2(want)), MAX_FILTER_BYTES * 8)
+def filter_sizes(records: int) -> tuple[int, int]:
+    """How many filters, and the bits of each: a power of two, in proportion to its records."""
+    filters = max(1, -(-records * BITS_PER_RECORD // (8 * MAX_FILTER_BYTES)))
+    want = max(1 << 16, -(-BITS_PER_RECORD * records // filters))
+    return filters, min(1 << math.ceil(math.log2(want)), MAX_FILTER_BYTES * 8)
 
 
 def repeat_filter(hashes: DataFrame, bits: int) -> bytes:
@@ -58,7 +60,8 @@ def repeat_filter(hashes: DataFrame, bits: int) -> bytes:
 
     Each partition sets the bits of the hashes it sees once, and those of hashes it
     sees again; merging adds to the repeats whatever two partitions have both seen.
-    A hash of two partitions has all its bits in both, so none is missed.
+    A hash of two partitions has all its bits in both, so none is missed. What a
+    partition hands on is packed and grows with the bits it has set.
     """
     part = bits // 8 // SLICES
 
@@ -114,6 +117,24 @@ def possible_repeats(hashes: DataFrame, bloom: bytes, bits: int) -> DataFrame:
     return hashes.select("key", "h").mapInArrow(run, "key string, h binary, maybe boolean")
 
 
+def mark_repeats(base: DataFrame, total: int) -> DataFrame:
+    """``key, h, maybe`` of all rows. With so many records that one filter would be too
+    large to send around, the rows are first written in parts by their hashes, without a
+    shuffle, and each part has a filter of its own; no row is read by more than one."""
+    filters, bits = filter_sizes(total)
+    if filters == 1:
+        return possible_repeats(base, repeat_filter(base, bits), bits)
+    folder = f"{shared_dir(base.sparkSession)}/hashes-{uuid4().hex}"
+    part = F.pmod(F.conv(F.substring(F.hex("h"), 17, 8), 16, 10).cast("bigint"), F.lit(filters)).cast("int")
+    base.withColumn("part", part).write.partitionBy("part").parquet(folder)
+    written = base.sparkSession.read.parquet(folder)
+    marked = []
+    for number in range(filters):
+        rows = written.where(F.col("part") == number).select("key", "h")
+        marked.append(possible_repeats(rows, repeat_filter(rows, bits), bits))
+    return reduce(DataFrame.unionByName, marked)
+
+
 def copy_groups(hashes: DataFrame) -> DataFrame:
     """``key, keep_key, copies`` for every record of ``key, h``: the smallest key of
     its group (by bytes) and how many distinct records the group has.
@@ -126,8 +147,7 @@ def copy_groups(hashes: DataFrame) -> DataFrame:
     """
     base = cut(hashes)
     total = base.count()
-    bits = filter_bits(total)
-    marked = possible_repeats(base, repeat_filter(base, bits), bits)
+    marked = mark_repeats(base, total)
     single = marked.where("NOT maybe").select("key", F.col("key").alias("keep_key"), F.lit(1).cast("bigint").alias("copies"))
     rows = cut(marked.where("maybe").select("key", "h").distinct())
     groups = rows.groupBy("h").agg(F.min("key").alias("keep_key"), F.count("*").alias("copies"))

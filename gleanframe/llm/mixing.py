@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -162,8 +163,9 @@ def mix_sources(
     reached_share, documents, tokens, max_repeats``: ``aim_share`` is the target
     among the sources that have any documents, ``reached_share`` what the mix has.
 
-    A row belongs to its source; one without a source belongs to all in the shares a
-    classifier gives them, fitted on a bounded sample of labelled rows. Nonnegative
+    A row belongs to its source, as its share is that of its label; one without a source
+    belongs to all in the shares a classifier gives them, fitted on a bounded sample of
+    labelled rows. A fit that doesn't come near the shares is reported by a warning. Nonnegative
     rates minimise the squared distance of the expected tokens of each source from
     its share of the total, by projected gradient: each step sums the tokens per
     source on the executors and sends one number per source back. A rate never passes
@@ -217,10 +219,13 @@ def mix_sources(
     total = min(float(total_tokens), feasible) if total_tokens is not None else feasible
     goal = aim * total
     steps: list[np.ndarray] = []
-    for _ in range(STEPS):
+    for n in range(STEPS + 1):
         used, mass = sums(steps)
         if total == 0 or np.abs(used - goal).max() <= NEAR * total:
             break
+        if n == STEPS:
+            warnings.warn(f"after {STEPS} steps a source is still {np.abs(used - goal).max() / total:.2%} of all tokens off its share", stacklevel=2)
+            break
         steps.append(np.where(mass > 0, (used - goal) / np.where(mass > 0, mass, 1), 0.0))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,9 +233,9 @@ def mix_sources(
             tokens, member, cap = _members(batch, names, model.names, caps)
             rate = _rates(member, cap, steps) if total else np.zeros(len(tokens))
             luck = np.array([xxhash.xxh3_64_intdigest(str(k)) / 2.0**64 for k in batch.column("key").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("source"), batch.column("tokens"), pa.array(rate), pa.array(np.ceil(cap)), pa.array(luck - (rate - np.floor(rate)))], names=["key", "source", "tokens", "rate", "cap", "margin"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("source"), batch.column("tokens"), pa.array(rate), pa.array(np.ceil(cap)), pa.array(luck - (rate - np.floor(rate))), batch.column("posterior")], names=["key", "source", "tokens", "rate", "cap", "margin", "posterior"])
 
-    rated = base.mapInArrow(place, f"key {kind}, source string, tokens bigint, rate double, cap double, margin double").where("tokens > 0 AND rate > 0")
+    rated = base.mapInArrow(place, f"key {kind}, source string, tokens bigint, rate double, cap double, margin double, posterior array<double>").where("tokens > 0 AND rate > 0")
     # a row is rounded up where its margin lies below its source's line; the line is set where the tokens come out right
     edge = F.floor(F.col("margin") * (BINS // 2)).cast("int")
     bins = (
@@ -261,9 +266,7 @@ def mix_sources(
             found[1] += (member > 0.5).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found[0]), pa.array(found[1])], names=["source", "tokens", "documents"])
 
-    ruled_base = ruled.withColumn("repeats", F.floor("rate") + up).where("repeats > 0").select("key", "source", "tokens", "repeats")
-    soft = base.where("source IS NULL").select("key", "posterior")
-    every = ruled_base.where("source IS NOT NULL").withColumn("posterior", F.lit(None).cast("array<double>")).unionByName(ruled_base.where("source IS NULL").join(soft, "key"))
+    every = ruled.withColumn("repeats", F.floor("rate") + up).where("repeats > 0").select("source", "tokens", "repeats", "posterior")
     got = every.mapInArrow(reached, "source string, tokens double, documents double").groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum("documents").alias("documents"))
     wanted = spark.createDataFrame([(n, float(s), float(a), int(c)) for n, s, a, c in zip(names, share, aim, caps)], "source string, target_share double, aim_share double, max_repeats bigint")
     every_token = mix.agg(F.sum(F.col("tokens") * F.col("repeats")).alias("every_token"))

@@ -18,7 +18,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "corpus").select("doc_id", "text").dropDuplicates(["doc_id"])
+    items = table(spark, sf_dir, "corpus").select("doc_id", "text").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     return split.split_oversized(items, table(spark, sf_dir, "snippet_config"))
 
 
@@ -53,7 +53,7 @@ def _p7_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     counts = terms.term_counts(items, "doc_id", "text")
     asked = terms.keyword_terms(table(spark, sf_dir, "query_analysis"))
     stats = terms.collection_stats(counts)
-    return terms.term_scores(counts, counts, stats), terms.term_scores(counts, asked, stats)
+    return terms.term_scores(counts, None, stats), terms.term_scores(counts, asked, stats)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,13 +67,19 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every term of every item and query with its score."""
     own, asked = _p7_scores(spark, sf_dir)
-    return own.select(F.lit("corpus").alias("rel"), "*").unionByName(asked.select(F.lit("query_analysis").alias("rel"), "*")).withColumnRenamed("key", "record_id")
+    both = own.select(F.lit("corpus").alias("rel"), "*").unionByName(asked.select(F.lit("query_analysis").alias("rel"), "*"))
+    return both.withColumnRenamed("key", "record_id").withColumn("llr", F.round("llr", 4) + F.lit(0.0))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_texts(table(spark, sf_dir, "documents"))
 
 
+def p8_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts back from their ids: what was encoded, nothing more or less."""
+    return tokenize.decode_ids(p8_ids(spark, sf_dir))
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
 
@@ -102,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_found": p7_found,
         "p7_scores": p7_scores,
         "p8_ids": p8_ids,
+        "p8_text": p8_text,
         "p9_mix": p9_mix,
         "p9_shares": p9_shares,
         "p10_found": p10_found,
@@ -113,7 +120,10 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_SQL,
         "p3_found": P3_SQL,
+        "p6_found": P6_SQL,
         "p7_found": P7_SQL,
+        "p7_scores": P7_SCORES_SQL,
+        "p8_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }
 
 
@@ -148,3 +158,36 @@ SELECT doc_id AS record_id, term FROM tf JOIN rare USING (term) WHERE tf >= 4
 UNION ALL
 SELECT query_id AS record_id, term FROM kw JOIN rare USING (term)
 """
+
+P6_SQL = """
+WITH v AS (
+  SELECT content_hash AS h, min(CAST(vec AS DOUBLE[])) AS v FROM emb_cache
+  WHERE content_hash IS NOT NULL AND len(vec) = 128 AND len(list_filter(vec, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0
+  GROUP BY content_hash),
+u AS (SELECT h, v, sqrt(list_dot_product(v, v)) AS n FROM v),
+s AS (SELECT a.h AS x, b.h AS y, least(list_dot_product(a.v, b.v) / (a.n * b.n), 1.0) AS c FROM u a JOIN u b ON a.h <> b.h),
+near AS (SELECT x, y, c FROM s QUALIFY row_number() OVER (PARTITION BY x ORDER BY c DESC, y) <= 5)
+SELECT DISTINCT least(x, y) AS hash_a, greatest(x, y) AS hash_b FROM near WHERE c >= 0.8
+"""
+
+_LLR = "CASE WHEN k11 * (k21 + k22) >= k21 * (k11 + k12) THEN 1 ELSE -1 END * greatest(2 * (" + " ".join(
+    f"{sign} CASE WHEN {x} > 0 THEN ({x}) * ln({x}) ELSE 0 END"
+    for sign, x in (("+", "k11"), ("+", "k12"), ("+", "k21"), ("+", "k22"), ("-", "k11 + k12"), ("-", "k21 + k22"), ("-", "k11 + k21"), ("-", "k12 + k22"), ("+", "k11 + k12 + k21 + k22"))
+) + "), 0)"
+P7_SCORES_SQL = rf"""
+WITH items AS (SELECT doc_id, min(text) AS text FROM corpus WHERE doc_id IS NOT NULL GROUP BY doc_id),
+occ AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+'))) AS term FROM items),
+tf AS (SELECT doc_id, term, count(*) AS tf, sum(count(*)) OVER (PARTITION BY doc_id) AS n_words FROM occ GROUP BY doc_id, term),
+stats AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term),
+total AS (SELECT coalesce(sum(cf), 0) AS every FROM stats),
+lists AS (SELECT DISTINCT query_id, keywords FROM query_analysis WHERE query_id IS NOT NULL),
+kw AS (SELECT query_id, lower(unnest(regexp_extract_all(k, '[\p{{L}}\p{{N}}]+'))) AS term FROM (SELECT query_id, unnest(keywords) AS k FROM lists) WHERE k IS NOT NULL),
+kt AS (SELECT query_id, term, count(*) AS tf, sum(count(*)) OVER (PARTITION BY query_id) AS n_words FROM kw GROUP BY query_id, term),
+cells AS (
+  SELECT 'corpus' AS rel, doc_id AS record_id, term, tf, df, cf, tf::DOUBLE AS k11, (n_words - tf)::DOUBLE AS k12, (cf - tf)::DOUBLE AS k21, (every - n_words - (cf - tf))::DOUBLE AS k22
+  FROM tf JOIN stats USING (term), total
+  UNION ALL
+  SELECT 'query_analysis', query_id, term, tf, coalesce(df, 0), coalesce(cf, 0), tf::DOUBLE, (n_words - tf)::DOUBLE, coalesce(cf, 0)::DOUBLE, (every - coalesce(cf, 0))::DOUBLE
+  FROM kt LEFT JOIN stats USING (term), total)
+SELECT rel, record_id, term, CAST(tf AS BIGINT) AS tf, CAST(df AS BIGINT) AS df, CAST(cf AS BIGINT) AS cf, round({_LLR}, 4) + 0.0 AS llr FROM cells
+"""

@@ -6,7 +6,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanframe.llm.common import words
@@ -62,21 +62,23 @@ def collection_stats(counts: DataFrame) -> DataFrame:
     return cut(counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")))
 
 
-def term_scores(counts: DataFrame, records: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+def term_scores(counts: DataFrame, records: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """``key, term, tf, df, cf, llr`` for the terms of ``records`` (``key, term, tf,
-    n_words``), against the collection whose counts are ``counts`` (same columns).
+    n_words``), or without them of the collection's own records, against the collection
+    whose counts are ``counts`` (same columns).
 
     ``df`` is the number of the collection's records that have the term, ``cf`` how
     often it occurs in all of them; both are 0 for a term the collection lacks.
     ``llr`` compares the term's count in the record with its count in the rest of
-    the collection (for a record of the collection, without the record itself; when
-    ``records`` isn't ``counts``, against the whole collection).
+    the collection (for a record of the collection, without the record itself; for
+    other ``records``, against the whole collection).
 
     Statistics (``stats``, if they are there already) combine on the map side. The ``HOT_TERMS`` most frequent terms, which
     hold most occurrences, meet their records by broadcast; the others by a shuffle
     join on the term, where none of them can be hot any more.
     """
-    own = records is counts
+    own = records is None
+    records = counts if own else records
     stats = collection_stats(counts) if stats is None else stats
     n = stats.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("all_words"))
     hot = stats.orderBy(F.col("df").desc(), F.col("term")).limit(HOT_TERMS)
@@ -96,5 +98,5 @@ def keyword_terms(analysis: DataFrame, key: str = "query_id", keywords: str = "k
     query are one; a null list, a null keyword and a blank one add nothing."""
     kinds = F.array_join(F.filter(F.col(keywords), lambda k: k.isNotNull()), "\n")
     rows = analysis.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.coalesce(kinds, F.lit("")).alias("t")).distinct()
-    joined = rows.groupBy("k").agg(F.array_join(F.array_sort(F.collect_set("t")), "\n").alias("t"))
-    return term_counts(joined, "k", "t")
+    each = term_counts(rows, "k", "t").groupBy("key", "term").agg(F.sum("tf").alias("tf"))
+    return each.select("key", "term", "tf", F.sum("tf").over(Window.partitionBy("key")).alias("n_words"))

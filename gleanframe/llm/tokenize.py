@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
 import json
-import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 TOKENIZER_DIR = "/opt/tokenizers"
 #: Distinct words a worker remembers before it begins anew.
 MAX_WORDS = 400_000
+#: Bytes of words contracted by one query, and of the longest word worth remembering.
+BYTES_AT_ONCE, KNOWN_BYTES = 200_000, 4096
+#: A stretch of more bytes than this within which merges may reach anywhere is contracted
+#: pair by pair instead, as the query would look at all of it in each of its many rounds.
+LONG_BYTES = 512
 #: Rows split and encoded together.
 ROWS_AT_ONCE = 2048
 
@@ -84,7 +89,7 @@ class Encoder:
         vocab = model["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         signs = _byte_signs()
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         merges = pa.table(
             {
                 "a": pa.array([vocab[a] for a, _ in pairs], pa.int32()),
@@ -99,6 +104,13 @@ class Encoder:
         by_byte = {b: vocab[s] for s, b in signs.items()}
         self.byte_ids = np.array([by_byte[b] for b in range(256)], np.int32)
         self.vocabulary = (vocab, signs)
+        ids = [(vocab[a], vocab[b]) for a, b in pairs]
+        self.merges = {pair: (rank, vocab[a + b]) for rank, (pair, (a, b)) in enumerate(zip(ids, pairs))}
+        # bytes that stand side by side in no token: no merge ever reaches across them
+        self.joined = np.zeros((256, 256), bool)
+        for word in vocab:
+            raw = [signs[c] for c in word if c in signs]
+            self.joined[raw[:-1], raw[1:]] = True
         self.wide, self.ascii = regex.compile(_PATTERN), re.compile(_ASCII_PATTERN, re.ASCII)
         self.known: dict[str, bytes] = {}  # ids as packed 32-bit numbers
 
@@ -106,9 +118,34 @@ class Encoder:
         # the two patterns only part ways beyond ASCII
         return (self.ascii if text.isascii() else self.wide).findall(text)
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes words by the recursive query."""
-        raw = [w.encode("utf-8", "replace") for w in words]
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """The packed ids of words. A word is cut where no merge can cross, which leaves
+        its ids as they are, and its pieces go through the recursive query."""
+        pieces: dict[bytes, bytes] = {}
+        cut_words = []
+        for w in words:
+            raw = w.encode("utf-8", "replace")
+            own = [raw]
+            if len(raw) > LONG_BYTES:
+                x = np.frombuffer(raw, np.uint8)
+                ends = np.flatnonzero(~self.joined[x[:-1], x[1:]]) + 1
+                own = [raw[a:z] for a, z in zip([0, *ends.tolist()], [*ends.tolist(), len(raw)])]
+            cut_words.append(own)
+            pieces.update(dict.fromkeys(own, b""))
+        short = [p for p in pieces if len(p) <= LONG_BYTES]
+        at = 0
+        while at < len(short):
+            size, begin = 0, at
+            while at < len(short) and (size == 0 or size + len(short[at]) <= BYTES_AT_ONCE):
+                size, at = size + len(short[at]), at + 1
+            self._contract(short[begin:at], pieces)
+        for p in pieces:
+            if len(p) > LONG_BYTES:
+                pieces[p] = self._contract_long(p)
+        return {w: b"".join(map(pieces.__getitem__, own)) for w, own in zip(words, cut_words)}
+
+    def _contract(self, raw: list[bytes], into: dict[bytes, bytes]) -> None:
+        """Pieces of words by the recursive query."""
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
@@ -125,7 +162,30 @@ class Encoder:
         finally:
             self.con.unregister("start")
         for word, ids in got:
-            self.known[words[word]] = array("i", ids).tobytes()
+            into[raw[word]] = array("i", ids).tobytes()
+
+    def _contract_long(self, raw: bytes) -> bytes:
+        """The same for one long piece, the leftmost pair of least rank at a time: a heap
+        of the pairs that stand side by side, in time little more than linear."""
+        toks = self.byte_ids[np.frombuffer(raw, np.uint8)].tolist()
+        n = len(toks)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        merges = self.merges
+        heap = [(merges[p][0], i, p) for i, p in enumerate(zip(toks, toks[1:])) if p in merges]
+        heapq.heapify(heap)
+        while heap:
+            _, i, pair = heapq.heappop(heap)
+            j = after[i]
+            if toks[i] is None or j >= n or (toks[i], toks[j]) != pair:
+                continue
+            toks[i], toks[j] = merges[pair][1], None
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for x, y in ((before[i], i), (i, k)):
+                if x >= 0 and y < n and (p := (toks[x], toks[y])) in merges:
+                    heapq.heappush(heap, (merges[p][0], x, p))
+        return array("i", [t for t in toks if t is not None]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of each text."""
@@ -136,10 +196,10 @@ class Encoder:
         for pieces in split:
             fresh.update(pieces)
         fresh = sorted(fresh.difference(self.known))
-        for k in range(0, len(fresh), 20_000):
-            self.learn(fresh[k : k + 20_000])
-        known = self.known.__getitem__
-        return [b"".join(map(known, pieces)) for pieces in split]
+        new = self.learn(fresh)
+        self.known.update((w, ids) for w, ids in new.items() if len(w) <= KNOWN_BYTES)
+        known = self.known if len(new) == 0 else self.known | {w: ids for w, ids in new.items() if len(w) > KNOWN_BYTES}
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
 
     def decode(self, docs: list[list[int] | None]) -> list[str]:
         """The texts of lists of ids, by one ordered aggregation."""
@@ -149,8 +209,10 @@ class Encoder:
             self.con.register("v", pa.table({"id": pa.array([i for i, _ in known], pa.int32()), "bytes": pa.array([b for _, b in known], pa.binary())}))
             self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
             self.con.unregister("v")
-        rows = [(d, p, i) for d, ids in enumerate(docs) for p, i in enumerate(ids or [])]
-        self.con.register("coded", pa.table({n: pa.array([r[k] for r in rows], pa.int32()) for k, n in enumerate(("doc", "pos", "id"))}))
+        sizes = np.fromiter((len(ids or ()) for ids in docs), np.int64, len(docs))
+        flat = np.fromiter((i for ids in docs for i in ids or ()), np.int32, int(sizes.sum()))
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.con.register("coded", pa.table({"doc": np.repeat(np.arange(len(docs), dtype=np.int32), sizes), "pos": place.astype(np.int32), "id": flat}))
         got = dict(self.con.execute(_DECODE_SQL).fetchall())
         self.con.unregister("coded")
         return [bytes.fromhex(got.get(d, "")).decode("utf-8", "replace") for d in range(len(docs))]

@@ -4,6 +4,7 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 
 from gleanframe.llm import copies, residue, split, terms
@@ -92,11 +93,19 @@ def test_copy_groups_with_a_hot_group(spark):
 
 def test_copy_groups_of_nothing_and_of_a_full_filter(spark, monkeypatch):
     assert groups_of(spark, []) == {}
-    monkeypatch.setattr(copies, "filter_bits", lambda n: 256)
+    monkeypatch.setattr(copies, "filter_sizes", lambda n: (1, 256))
     pairs = [(f"k{i:03}", f"text {i // 2}") for i in range(300)]
     assert groups_of(spark, pairs) == {f"k{i:03}": (f"k{i // 2 * 2:03}", 2) for i in range(300)}
 
 
+def test_copy_groups_with_several_filters(spark, monkeypatch):
+    assert copies.filter_sizes(1000) == (1, 1 << 16) and copies.filter_sizes(10**9) == (60, 1 << 28)
+    monkeypatch.setattr(copies, "filter_sizes", lambda n: (5, 1 << 16))
+    pairs = [(f"k{i:03}", f"text {i // 3}") for i in range(300)] + [(f"s{i:03}", f"single {i}") for i in range(200)]
+    want = {f"k{i:03}": (f"k{i // 3 * 3:03}", 3) for i in range(300)} | {f"s{i:03}": (f"s{i:03}", 1) for i in range(200)}
+    assert groups_of(spark, pairs) == want
+
+
 def test_copy_groups_of_many_pairs(spark):
     pairs = [(f"k{i:04}", f"text {i // 2}") for i in range(2998)]
     assert groups_of(spark, pairs) == {f"k{i:04}": (f"k{i // 2 * 2:04}", 2) for i in range(2998)}
@@ -108,7 +117,7 @@ def test_copy_groups_of_many_pairs(spark):
 def test_scores_of_terms(spark):
     docs = spark.createDataFrame([("a", "Rare rare the the x_y"), ("b", "the the the dog"), ("c", None), ("d", "")], "doc_id string, text string")
     counts = terms.term_counts(docs, "doc_id", "text")
-    got = {(r.key, r.term): r for r in terms.term_scores(counts, counts).collect()}
+    got = {(r.key, r.term): r for r in terms.term_scores(counts).collect()}
     assert set(got) == {("a", "rare"), ("a", "the"), ("a", "x"), ("a", "y"), ("b", "the"), ("b", "dog")}
     assert (got["a", "rare"].tf, got["a", "rare"].df, got["a", "rare"].cf) == (2, 1, 2)
     assert got["a", "rare"].llr > got["a", "x"].llr > 0 > got["a", "the"].llr
@@ -128,9 +137,9 @@ def test_keyword_terms_and_hot_terms(spark, monkeypatch):
     assert sorted((r.key, r.term, r.tf) for r in terms.keyword_terms(asked).collect()) == [("q", "ab", 1), ("q", "baz", 1), ("q", "foobar", 1)]
     docs = spark.createDataFrame([(f"d{i}", f"the w{i % 7} w{i}") for i in range(40)], "doc_id string, text string")
     counts = terms.term_counts(docs, "doc_id", "text")
-    many = sorted((r.key, r.term, r.df, round(r.llr, 9)) for r in terms.term_scores(counts, counts).collect())
+    many = sorted((r.key, r.term, r.df, round(r.llr, 9)) for r in terms.term_scores(counts).collect())
     monkeypatch.setattr(terms, "HOT_TERMS", 2)
-    assert many == sorted((r.key, r.term, r.df, round(r.llr, 9)) for r in terms.term_scores(counts, counts).collect())
+    assert many == sorted((r.key, r.term, r.df, round(r.llr, 9)) for r in terms.term_scores(counts).collect())
     assert terms.term_scores(counts.where("false"), counts.where("false")).count() == 0
     met = terms.term_scores(counts, terms.keyword_terms(asked)).collect()
     assert {(r.df, r.cf) for r in met} == {(0, 0)}
@@ -241,5 +250,40 @@ def test_encoding_equals_the_library_and_decodes(spark):
     assert encode_texts(docs.where("false")).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(VOCAB), reason="no vocabulary here")
+def test_very_long_words_equal_the_library(monkeypatch, tmp_path):
+    import time
+
+    from tokenizers import Tokenizer
+
+    from gleanframe.llm import tokenize
+
+    monkeypatch.chdir(tmp_path)
+    random.seed(11)
+    han = [chr(c) for c in range(0x4E00, 0x5200)] + list("のをはがです")
+    texts = ["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=200_000)), "".join(random.choices(han, k=200_000)), "a" * 300_000, "thequickbrownfox" * 5000, "=-" * 50_000, "".join(random.choices("etaoin", k=30_000)), "short"]
+    plain = Tokenizer.from_file(VOCAB)
+    own = tokenize.Encoder(VOCAB)
+    began = time.perf_counter()
+    got = [np.frombuffer(x, np.int32).tolist() for x in own.encode(texts)]
+    assert time.perf_counter() - began < 90
+    for t, ids in zip(texts, got):
+        assert ids == plain.encode(t, add_special_tokens=False).ids
+    assert own.decode(got) == texts
+    assert not list(tmp_path.iterdir())
+
+
+@pytest.mark.skipif(not os.path.exists(VOCAB), reason="no vocabulary here")
+def test_pieces_contract_alike_either_way():
+    from gleanframe.llm import tokenize
+
+    random.seed(12)
+    own = tokenize.Encoder(VOCAB)
+    pieces = {"".join(random.choices("abcer ", k=random.randint(1, 60))).encode() for _ in range(300)}
+    into = dict.fromkeys(pieces, b"")
+    own._contract(list(pieces), into)
+    assert into == {p: own._contract_long(p) for p in pieces}
+
+
 def test_words_are_letters_and_digits():
     assert words("Foo_bar-1 É٣") == ["foo", "bar", "1", "é٣"] and words(None) == []
