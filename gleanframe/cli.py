@@ -14,12 +14,12 @@ import argparse
 import sys
 
 from gleanframe.config import load_config, sweep
-from gleanframe.operators.ablation import offline_evaluator, run_ablation
+from gleanframe.operators.ablation import ablation_table, as_markdown, measured, write_report
 from gleanframe.operators.evolution import stable_core_and_delta
 from gleanframe.operators.metrics import evaluate_retrieval
 from gleanframe.operators.versions import VersionedIndex
 from gleanframe.retriever import CodeRetriever, Encoder
-from gleanframe.session import local_session, shared_dir, ship
+from gleanframe.session import cut, local_session, shared_dir, ship
 from gleanframe.sources.tables import distinct_items, queries_from, write_result_files
 
 
@@ -106,10 +106,9 @@ def run_sweep(argv: list[str]) -> int:
     p.add_argument("--json")
     args = p.parse_args(argv)
     corpus, queries, qrels = _tables(args, "corpus", "queries", "qrels")
-    log = run_ablation(sweep(_backend(args)), offline_evaluator(corpus, queries, qrels))
-    print(log.to_markdown())
-    if args.md:
-        log.save(args.md, args.json)
+    found = cut(ablation_table(corpus.sparkSession, sweep(_backend(args)), measured(cut(corpus), cut(queries), qrels)))
+    print(as_markdown(found))
+    write_report(found, args.md, args.json)
     return 0
 
 

@@ -56,10 +56,10 @@ class VersionedIndex:
         self.sizes: dict[str, int] = {}
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        try:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        if folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
             return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        except Exception:
-            return self.spark.createDataFrame([], schema)
+        return self.spark.createDataFrame([], schema)
 
     @property
     def cache(self) -> DataFrame:
@@ -70,11 +70,13 @@ class VersionedIndex:
         return self._read("snapshots", "doc_id string, content_hash string, text string, version string")
 
     def add_version(self, version: str, corpus: DataFrame) -> float:
-        """Adds or replaces a version given as ``doc_id, text``; seconds it took. Contents
+        """Adds or replaces a version given as ``doc_id, text``; seconds it took. A document
+        that comes several times counts once, with the text of the greater hash. Contents
         are compared by hash: those in the cache are left out by an anti join, and each
         new one is encoded once however often the version has it."""
         began = time.perf_counter()
-        rows = corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("content_hash", content_hash("text"))
+        given = corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("content_hash", content_hash("text"))
+        rows = given.groupBy("doc_id").agg(F.max(F.struct("content_hash", "text")).alias("x")).select("doc_id", "x.text", "x.content_hash")
         fresh = rows.select("content_hash", "text").dropDuplicates(["content_hash"]).join(self.cache.select("content_hash"), "content_hash", "left_anti")
         new = self.embed(fresh, ["content_hash"], "text").select("content_hash", F.col("vec").cast("array<float>").alias("vec"))
         before = self.cache.count()

@@ -97,11 +97,11 @@ def evolved_vectors(spark, sf_dir):
 def ablation_table(spark, sf_dir):
     """The usual sweep over the whole corpus with its judgments."""
     from gleanframe.config import sweep
-    from gleanframe.operators.ablation import offline_evaluator, run_ablation
+    from gleanframe.operators import ablation
 
     corpus = cut(items(spark, sf_dir).select("doc_id", "doc_pos", "text"))
-    evaluate = offline_evaluator(corpus, cut(asked(spark, sf_dir)), table(spark, sf_dir, "qrels"), 10)
-    return run_ablation(sweep(), evaluate).to_df(spark)
+    measure = ablation.measured(corpus, cut(asked(spark, sf_dir)), table(spark, sf_dir, "qrels"), 10)
+    return ablation.ablation_table(spark, sweep(), measure).drop("no", "telemetry")
 
 
 def stream_versions(spark, sf_dir):

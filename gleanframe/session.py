@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     there = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not there:
+        if sc.getCheckpointDir() is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         there = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="gleanframe-")
         spark.conf.set("spark.checkpoint.dir", there)
     if sc.getCheckpointDir() is None:

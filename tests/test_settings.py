@@ -6,7 +6,7 @@ import pytest
 
 from gleanframe.config import PRESETS, PipelineConfig, load_config, sweep
 from gleanframe.functions import vectors
-from gleanframe.operators.ablation import run_ablation
+from gleanframe.operators import ablation
 from gleanframe.retriever import RunTelemetry
 from gleanframe.sources import tables
 
@@ -53,13 +53,15 @@ def test_prompts_reach_the_model(spark):
 
 def test_ablation_measures_against_the_first(spark, tmp_path):
     scores = {"baseline": 0.5, "+multiview": 0.6, "+hyde": 0.4, "+hybrid_rrf": 0.5, "+all": 0.7}
-    configs = sweep()
-    log = run_ablation(configs, lambda c: {"scores": {"ndcg_at_10": scores[c.name], "mrr_at_100": 0.1}})
-    assert [r.kept for r in log.rows] == [True, True, False, False, True]
-    assert log.rows[2].delta_ndcg == pytest.approx(-0.1) and log.rows[0].mrr_at_10 == 0.1
-    log.save(str(tmp_path / "t.md"), str(tmp_path / "t.json"))
-    assert "+all" in (tmp_path / "t.md").read_text() and json.loads((tmp_path / "t.json").read_text())["baseline_ndcg_at_10"] == 0.5
-    assert log.to_df(spark).count() == 5
+    found = ablation.ablation_table(spark, sweep(), lambda c: spark.createDataFrame([(scores[c.name], 0.1)], "ndcg_at_10 double, mrr_at_100 double"))
+    rows = {r.name: r for r in found.collect()}
+    assert [rows[n].kept for n in scores] == [True, True, False, False, True]
+    assert rows["+hyde"].delta_ndcg == pytest.approx(-0.1) and rows["baseline"].mrr_at_10 == 0.1
+    assert ablation.write_report(found, None, str(tmp_path / "out" / "t.json")) == [str(tmp_path / "out" / "t.json")]
+    ablation.write_report(found, str(tmp_path / "t.md"))
+    lines = (tmp_path / "t.md").read_text().splitlines()
+    assert len(lines) == 7 and "| — |" in lines[2] and "+0.1000" in lines[3] and lines[4].endswith("| drop |")
+    assert json.loads((tmp_path / "out" / "t.json").read_text())["baseline_ndcg_at_10"] == 0.5
 
 
 def test_tables_and_results(spark, tmp_path):
