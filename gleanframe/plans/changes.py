@@ -53,17 +53,6 @@ def _numbered(spark, sf_dir) -> DataFrame:
 
 
 def version_search(spark, sf_dir):
-    """Every query against the last version of one index only, the first by name, as its
-    SQL says; ``version_search_all`` searches all of them."""
-    rows = _numbered(spark, sf_dir)
-    first = rows.agg(F.min("index_name").alias("index_name"))
-    last = rows.join(F.broadcast(first), "index_name")
-    newest = last.agg(F.max("no").alias("no"))
-    docs = BACKEND.embed(last.join(F.broadcast(newest), "no").select("doc_id", "text"), ["doc_id"], "text")
-    return dense.top_k(docs, cut(BACKEND.embed(asked(spark, sf_dir), ["query_id"], "text")), 5)
-
-
-def version_search_all(spark, sf_dir):
     """Every query against the newest delivered version of every index: the five best
     documents of each index and query."""
     rows = _numbered(spark, sf_dir)
@@ -120,7 +109,7 @@ def stream_versions(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (p4_found, content_dedupe, version_rebuild, cache_hit_rate, version_search, version_search_all, stable_core_delta, delta_line_counts, evolved_vectors, ablation_table, stream_versions)
+    for f in (p4_found, content_dedupe, version_rebuild, cache_hit_rate, version_search, stable_core_delta, delta_line_counts, evolved_vectors, ablation_table, stream_versions)
 }
 
 _HELD = """
@@ -163,13 +152,14 @@ SQL = {
     "cache_hit_rate": f"{_REBUILD} SELECT index_name, CAST(sum(documents) AS BIGINT) AS documents, CAST(sum(encoded_count) AS BIGINT) AS encoded, round(1 - sum(encoded_count)::DOUBLE / sum(documents), 6) AS hit_rate FROM each GROUP BY index_name",
     "version_search": f"""
 WITH {_HELD}, {q.ASKED},
-last AS (
-  SELECT h.doc_id, h.text FROM held h JOIN ord o USING (index_name, version)
-  WHERE o.index_name = (SELECT min(index_name) FROM ord) AND o.no = (SELECT max(no) FROM ord WHERE index_name = (SELECT min(index_name) FROM ord))),
-{q.sparse_vectors("dv", "last", "doc_id")}, {q.sparse_vectors("qv", "asked", "query_id")},
-met AS (SELECT query_id, doc_id, sum(qv.w * dv.w) AS s FROM qv JOIN dv USING (idx) GROUP BY ALL),
-g AS (SELECT a.query_id, i.doc_id, round(coalesce(s, 0), 6) + 0.0 AS score FROM asked a CROSS JOIN last i LEFT JOIN met m ON m.query_id = a.query_id AND m.doc_id = i.doc_id)
-SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pos FROM g QUALIFY pos <= 5""",
+newest AS (SELECT index_name, max(no) AS no FROM ord GROUP BY index_name),
+last AS (SELECT h.index_name, h.doc_id, h.text FROM held h JOIN ord o USING (index_name, version) JOIN newest n ON n.index_name = o.index_name AND n.no = o.no),
+{q.sparse_vectors("dv", "last", "index_name, doc_id")}, {q.sparse_vectors("qv", "asked", "query_id")},
+met AS (SELECT index_name, query_id, doc_id, sum(qv.w * dv.w) AS s FROM qv JOIN dv USING (idx) GROUP BY ALL),
+g AS (
+  SELECT i.index_name, a.query_id, i.doc_id, round(coalesce(s, 0), 6) + 0.0 AS score
+  FROM asked a CROSS JOIN last i LEFT JOIN met m ON m.query_id = a.query_id AND m.index_name = i.index_name AND m.doc_id = i.doc_id)
+SELECT index_name, query_id, doc_id, score, row_number() OVER (PARTITION BY index_name, query_id ORDER BY score DESC, doc_id) AS pos FROM g QUALIFY pos <= 5""",
     "stable_core_delta": f"{_PARTS} SELECT group_id, version_no, core, delta FROM made",
     "delta_line_counts": f"{_PARTS} SELECT group_id, version_no, count(*) FILTER (is_core) AS core_lines, count(*) FILTER (NOT is_core) AS delta_lines FROM parts GROUP BY ALL",
     "evolved_vectors": f"""

@@ -62,7 +62,7 @@ def test_version_search_covers_every_index(spark, tmp_path, monkeypatch):
     spark.createDataFrame(asks, "query_id string, text string").write.parquet(f"{tmp_path}/queries.parquet")
     monkeypatch.setattr(dense, "DOCS_AT_ONCE", 3)
     got = {}
-    for r in entry.queries()["version_search_all"](spark, str(tmp_path)).collect():
+    for r in entry.queries()["version_search"](spark, str(tmp_path)).collect():
         got.setdefault((r.index_name, r.query_id), {})[r.pos] = (r.doc_id, r.score)
 
     def vectors(pairs):
