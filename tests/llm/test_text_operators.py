@@ -213,6 +213,60 @@ def test_residue_is_the_same_in_any_partitions(spark):
     assert runs[0] == runs[1] and len(runs[0]) >= 60
 
 
+def _templates(spark, texts):
+    return {r.template: (r.kind, r.messages, r.members) for r in residue.message_templates(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+
+
+PROSE = "The loader walks the list of mirrors and keeps what it gets in a table of its own, one row for each.\n" * 9
+
+
+def test_templates_are_mined_from_every_line(spark, monkeypatch):
+    """Also from records that are too long to fall, fall by themselves, or hold nothing else."""
+    said = "Error 502"
+    texts = [PROSE + said, said + "\n" + PROSE, "Dear {{ userName }},\n" + said, "TBD and more\n" + said + "\n" + "lorem ipsum dolor sit amet " * 3, said]
+    assert _templates(spark, texts) == {"Error <*>": ("error", 5, 1)}
+    assert _fallen(spark, texts) == {2: "slot", 3: "filler", 4: "error"}
+    monkeypatch.setattr(residue, "MAX_FILTER_BITS", 64)  # a full filter lets more through
+    assert _templates(spark, [*texts, *map(str, range(300)), *"abcdefgh"]) == {"Error <*>": ("error", 5, 1)}
+
+
+def test_verdicts_reach_messages_without_a_stem(spark):
+    texts = [f"In order to open the view on this device, {w} must be enabled by its owner first of all" for w in ("cookies", "JavaScript", "scripting", "plugins")]
+    assert not residue.may_match(texts[3])
+    assert set(_fallen(spark, texts)) == {0, 1, 2, 3}
+    assert set(_fallen(spark, [*texts[:3], PROSE + texts[3]])) == {0, 1, 2}
+
+
+def test_a_message_keeps_its_verdict_among_others_like_it(spark):
+    """Where most of a template's lines don't tell, those that do stand by themselves."""
+    told = "The view of this page could not be found at all today"
+    texts = [told.replace("page could not be found", f"page {w}") for w in ("could not be found", "could not be sorted", "could not be split", "could not be kept")]
+    assert _fallen(spark, texts) == {0: "error"}
+    assert _templates(spark, texts) == {told: ("error", 1, 1)}
+
+
+def test_residue_screens_hide_no_line():
+    assert residue.find_residue("Too  many \t requests") == "error"
+    assert residue.find_residue("sed do ut et ad id est non") == "filler"
+    assert residue.find_residue("```pip install x```\nDear {{ userName }}, real words follow here.") == "slot"
+    assert residue.find_residue('{"status": 404, "message": "No such book"}') == "error"
+    assert residue.find_residue("Replace this with your own.") == "filler"
+
+
+def test_leaf_finds_the_first_template_that_fits():
+    random.seed(5)
+    for words in range(1, 14):
+        leaf, plain = residue.Leaf(words), []
+        for _ in range(80):
+            message = ["x"] * min(3, words) + random.choices(["a", "b", "c", "<*>"], k=words - 3 if words > 3 else 0)
+            t = next((t for t, own in enumerate(plain) if sum(map(str.__eq__, own, message)) >= leaf.least), len(plain))
+            if t == len(plain):
+                plain.append(message)
+            plain[t] = [a if a == b else "<*>" for a, b in zip(plain[t], message)]
+            assert leaf.add(message, 1) == t
+        assert leaf.templates == plain
+
+
 def test_residue_on_texts_no_rule_was_written_for():
     """The figures of the README: 39 of 60 residue texts found, 9 of 60 others flagged."""
     from heldout_residue import EXPLAINING, RESIDUE
