@@ -81,17 +81,18 @@ def bm25_topk(spark, sf_dir):
     return Bm25Index(items(spark, sf_dir)).top_k(asked(spark, sf_dir), 10)
 
 
-def _fused(spark, sf_dir, fuse):
-    corpus = term_rows(fusion.with_index(items(spark, sf_dir).select("doc_id", "doc_pos", "text")), ["doc_id", "idx", "text"])
-    docs = cut(BACKEND.embed(corpus, ["doc_id", "idx", "terms", "tfs", "dl"], "text"))
-    index = Bm25Index(docs)
+def _fused(spark, sf_dir, fuse, more=lambda rows: {}):
+    # texts are written and not their vectors, which take several times their room; each pass makes them
+    rows = cut(term_rows(fusion.with_index(items(spark, sf_dir).select("doc_id", "doc_pos", "text")), ["doc_id", "idx", "text"]))
+    docs = BACKEND.embed(rows, ["doc_id", "idx", "terms", "tfs", "dl"], "text")
+    index = Bm25Index(rows)
     queries = asked(spark, sf_dir)
     both = BACKEND.embed(queries, ["query_id"], "text").join(index.weights(queries), "query_id")
-    return fuse(docs, cut(both), index.mean_length, 10)
+    return fuse(docs, cut(both), index.mean_length, 10, **more(rows))
 
 
 def rrf_topk(spark, sf_dir):
-    return _fused(spark, sf_dir, fusion.rrf_top_k)
+    return _fused(spark, sf_dir, fusion.rrf_top_k, lambda rows: {"rows": rows.drop("text")})
 
 
 def linear_fusion_topk(spark, sf_dir):
